@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, classifier, extraction, licences, media, packing, rules, warc
+from veilwork.llm import bpe, classifier, extraction, licences, media, packing, rules, simhash, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (warc.op1_warc, bpe.op2_bpe, media.op3_media, licences.op4_licences, packing.op5_packing, classifier.op7_classifier, extraction.op8_extraction, rules.op9_rules)
+    own = (warc.op1_warc, bpe.op2_bpe, media.op3_media, licences.op4_licences, packing.op5_packing, simhash.op6_simhash, classifier.op7_classifier, extraction.op8_extraction, rules.op9_rules, suffixes.op10_suffixes)
     return {f.__name__: f for f in own}
 
 

@@ -109,15 +109,149 @@ def _root(parent: list[int], x: int) -> int:
 
 
 def shard_edges(tree: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that join what links between the fingerprints of a shard and the queries: a forest, not all pairs."""
-    size = len(tree)
-    parent = list(range(size + len(queries)))
-    edges = []
+    """Edges that join what links between the fingerprints of a shard and the queries: from each fingerprint to the
+    smallest (as a signed number) of its component here, so a component of n gives n - 1 edges, not all pairs."""
+    values = np.concatenate([tree, queries])
+    parent = list(range(len(values)))
     for node, near in BKTree(tree).within(queries, radius):
+        a = _root(parent, node)
         for q in near.tolist():
-            a, b = _root(parent, node), _root(parent, size + q)
+            b = _root(parent, len(tree) + q)
             if a != b:
                 parent[b] = a
-                if tree[node] != queries[q]:
-                    edges.append((int(tree[node]), int(queries[q])))
-    return edges
+    signed, least, roots = values.view(np.int64).tolist(), {}, [_root(parent, i) for i in range(len(values))]
+    for i, r in enumerate(roots):
+        least[r] = min(signed[i], least.get(r, signed[i]))
+    return list({(signed[i], least[r]) for i, r in enumerate(roots) if signed[i] != least[r]})
+
+
+def _distance(a: int, b: int) -> int:
+    return ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count()
+
+
+def small_edges(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """The same for a few fingerprints (signed), which are put into one tree one after another."""
+    children: list[dict[int, int]] = [{} for _ in values]
+    parent = list(range(len(values)))
+    for i in range(1, len(values)):
+        at, going = 0, [0]
+        while (free := _distance(values[at], values[i])) in children[at]:
+            at = children[at][free]
+        while going:
+            node = going.pop()
+            away = _distance(values[node], values[i])
+            if away <= radius:
+                a, b = _root(parent, node), _root(parent, i)
+                parent[max(a, b)] = min(a, b)
+            going += [c for d, c in children[node].items() if abs(d - away) <= radius]
+        children[at][free] = i
+    least: dict[int, int] = {}
+    roots = [_root(parent, i) for i in range(len(values))]
+    for v, r in zip(values, roots, strict=True):
+        least[r] = min(v, least.get(r, v))
+    return [(v, least[r]) for v, r in zip(values, roots, strict=True) if v != least[r]]
+
+
+_FEW = 24
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the shards in a partition that is sorted by shard. A shard's rows are bounded, so it is held whole."""
+    found: list[tuple[int, int]] = []
+    key, tree, queries = None, [], []
+
+    def ended() -> None:
+        if key is None or not queries:
+            return
+        if key[2] == key[3] and len(queries) <= _FEW:
+            found.extend(small_edges(queries))
+        else:
+            whole = np.array(queries, np.int64).view(np.uint64)
+            found.extend(shard_edges(whole if key[2] == key[3] else np.array(tree, np.int64).view(np.uint64), whole))
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        found.clear()
+        return batch
+
+    for batch in batches:
+        for *own, value, in_tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != key:
+                ended()
+                key, tree, queries = own, [], []
+            (tree if in_tree else queries).append(value)
+        if len(found) > 10_000:
+            yield out()
+    ended()
+    yield out()
+
+
+def bucket_keys(value: Column, n_blocks: int = BLOCKS, keep: int = KEEP) -> Column:
+    """An array of (which, bits): the bits of each choice of `keep` of the blocks, in place."""
+    border = [64 * i // n_blocks for i in range(n_blocks + 1)]
+    masks = [sum(((1 << (border[i + 1] - border[i])) - 1) << border[i] for i in chosen) for chosen in itertools.combinations(range(n_blocks), keep)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(k).alias("which"), value.bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])
+
+
+def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b), a > b, that connect the distinct fingerprints in column `print` as their links do."""
+    keyed = distinct.select("print", F.explode(bucket_keys(F.col("print"))).alias("k")).select("k.which", "k.bits", "print")
+    sizes = keyed.groupBy("which", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = keyed.join(sizes, ["which", "bits"]).withColumn("parts", F.ceil(F.col("n") / shard).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    # one part: a tree that its own fingerprints query; more: part i's tree for the queries of each part j >= i
+    places = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("in_tree")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(False).alias("in_tree"))),
+            F.transform(F.filter(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: j > F.col("part")), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("in_tree"))),
+        )
+    )
+    shards = dealt.select("which", "bits", "print", F.explode(places).alias("p")).select("which", "bits", "p.i", "p.j", "print", "p.in_tree")
+    placed = shards.repartition("which", "bits", "i", "j").sortWithinPartitions("which", "bits", "i", "j")
+    return map_arrow(placed, _edges, "a long, b long").distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node reachable from each node of the edges (a, b).
+
+    Each round gives a node, and its label, the smallest label next to it, then takes the label's label. What a round
+    makes goes to the shared folder; a round costs time in proportion to the edges, and their number is small.
+    """
+    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b"))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        seen = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
+        offers = seen.select("node", "m").union(seen.filter("m < root").select(F.col("root").alias("node"), "m"))
+        hooked = offers.groupBy("node").agg(F.min("m").alias("up"))
+        jump = hooked.select(F.col("node").alias("up"), F.col("up").alias("above"))
+        after = hooked.join(jump, "up", "left").join(labels, "node").select("node", F.coalesce("above", "up").alias("root"), F.col("root").alias("old"))
+        after = cut(after)
+        changed = after.filter("root != old").limit(1).count()
+        labels = after.select("node", "root")
+        if not changed:
+            return labels
+
+
+def components(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, print, component_id of every document."""
+    rows = cut(prints(docs, width))
+    firsts = cut(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
+    roots = connected(links(firsts.select("print")))
+    rooted = firsts.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(names, "root").select("print", "component_id")
+    return rows.join(named, "print").select("doc_id", "print", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 4) -> DataFrame:
+    """The rows of docs, with their columns, whose id names their component. Rows that repeat an id stay or go together,
+    unless their texts are of different components; rows without an id stay."""
+    found = components(docs, width).filter("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

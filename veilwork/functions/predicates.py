@@ -72,7 +72,7 @@ def section_head(line: Column) -> Column:
 
 
 def photo_shaped(width: Column, height: Column, page_share: Column, config: Config = DEFAULT) -> Column:
-    ratio = width / height
+    ratio = F.try_divide(width.cast("double"), height.cast("double"))
     return F.coalesce((width >= config.photo_side) & (height >= config.photo_side) & ratio.between(config.photo_ratio_low, config.photo_ratio_high) & ~(page_share > config.photo_page_share), F.lit(False))
 
 

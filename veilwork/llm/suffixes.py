@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from veilwork.llm.common import blocks, cut, map_arrow, table, utf8
 
 LENGTH, K = 100, 24
-SHARD_BYTES, PIECE_BYTES = 1 << 20, 1 << 20
+SHARD_BYTES, PIECE_BYTES = 1 << 21, 1 << 20
 #: Names up to which the string of names is sorted by induction again.
 FEW_NAMES = 2048
 _LAST = (1 << 63) - 1
@@ -162,25 +162,22 @@ def _induced(t: np.ndarray, letters: int, smaller: np.ndarray, leftmost: np.ndar
         _deal(into, back, chars)
         return back[:0]
 
+    def bucket(c: int, of: list[list[np.ndarray]], kind: bool) -> None:
+        """What other buckets have dealt to this one is all there; each round goes on with what the last one added."""
+        done = [np.concatenate(of[c])] if len(of[c]) > 1 else of[c][:]
+        while done and len(done[-1]):
+            done.append(on(done[-1], c, of, kind))
+        of[c] = done
+
     for c in range(letters):
-        k = 0
-        while k < len(larger_in[c]):  # grows while it is read
-            again = on(larger_in[c][k], c, larger_in, False)
-            if len(again):
-                larger_in[c].append(again)
-            k += 1
+        bucket(c, larger_in, False)
         for part in starts[c]:
             on(part, c, larger_in, False)
     smaller_in[int(t[-1])].append(np.array([len(t) - 1]))
     for c in range(letters - 1, -1, -1):
-        k = 0
-        while k < len(smaller_in[c]):
-            again = on(smaller_in[c][k], c, smaller_in, True)
-            if len(again):
-                smaller_in[c].append(again)
-            k += 1
-        for part in reversed(larger_in[c]):
-            on(part[::-1], c, smaller_in, True)
+        bucket(c, smaller_in, True)
+        if larger_in[c]:
+            on(np.concatenate(larger_in[c])[::-1], c, smaller_in, True)
     return np.concatenate([x for c in range(letters) for x in (*larger_in[c], *(p[::-1] for p in reversed(smaller_in[c])))])
 
 

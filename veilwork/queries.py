@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import patterns as P
 from veilwork.functions import predicates as Q
 from veilwork.functions import spans as S
-from veilwork.operators import audit, layout, redaction
+from veilwork.operators import audit, layout, names, redaction
 from veilwork.plans import plan as plans
 from veilwork.sources import files
 
@@ -530,6 +530,42 @@ def manifest_read_back(spark, d):
     return files.manifest_of(raw).select("n_nationkey", F.col("manifest").isNotNull().alias("whole"), F.col("manifest.total_redactions").cast("int").alias("total"))
 
 
+@query(f"WITH {_CV}, t AS (SELECT doc_id, idx, unnest({_TOKENS}) AS token FROM cv) SELECT doc_id, idx, token, substring(token, 1, 6) AS again FROM t WHERE starts_with(lower(token), 'linked') AND lower(token) <> 'linked' AND NOT contains(token, '@') AND NOT {_m(P.URL, 'token')}")
+def names_to_reinsert(spark, d):
+    tokens = cv_lines(spark, d).select("doc_id", "idx", F.explode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("token"))
+    return names.to_reinsert(tokens.withColumn("keep", F.lit("Linked")), text="token").select("doc_id", "idx", "token", "again")
+
+
+@query(f"WITH {_FILES}, {_PLAN} SELECT 'out_' || f.filename AS output_name, coalesce(p.surnames, []) AS surnames FROM files f LEFT JOIN plan p USING (filename)")
+def results_rekeyed(spark, d):
+    return names.rekeyed(files_of(spark, d).withColumn("output_name", F.concat(F.lit("out_"), "filename")), plan_of(spark, d))
+
+
+@query("SELECT doc_id, count(*) FILTER (doc_id % 2 = 0) AS words_struck, count(*) AS spans_removed, count(*) FILTER (doc_id % 3 = 0) AS boxes_blanked FROM (SELECT p_partkey % 50 AS doc_id FROM part) GROUP BY doc_id")
+def redaction_counts(spark, d):
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("doc_id"))
+    return names.redaction_counts(rows.filter("doc_id % 2 = 0"), rows, rows.filter("doc_id % 3 = 0"))
+
+
+@query("SELECT n_regionkey AS doc_id, 0 AS page, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS pos, n_name AS text FROM nation")
+def font_spans_flattened(spark, d):
+    span = lambda x: F.struct(x["n_name"].alias("text"))
+    pages = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    lines = F.transform("ns", lambda x: F.struct(F.array(F.struct(F.array(span(x)).alias("spans"))).alias("lines")))
+    return names.flat_font_spans(pages.select("doc_id", F.lit(0).alias("page"), lines.alias("blocks"))).select("doc_id", "page", "pos", "text")
+
+
+@query("SELECT s_suppkey AS doc_id, CAST(unnest(range(s_suppkey % 4)) AS INT) AS page FROM supplier")
+def document_pages(spark, d):
+    return names.pages_of(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), (F.col("s_suppkey") % 4).alias("n_pages")))
+
+
+@query(f"WITH {_CV} SELECT doc_id, idx FROM cv WHERE NOT regexp_matches(regexp_replace(text, {re2(P.URL)}, '', 'g'), '[\\p{{L}}\\p{{N}}]')")
+def dead_links(spark, d):
+    line = S.clean(F.col("text"))
+    return names.dead_link_bands(cv_lines(spark, d), S.deleted(S.mask(line, S.spans(line, P.URL, "URL")))).select("doc_id", "idx")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

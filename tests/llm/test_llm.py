@@ -378,9 +378,10 @@ def model_removed(docs, length):
     return flags
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 700])
-def test_repeats(docs, empty, spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "hot"), [(1 << 20, 20_000), (700, 1)])
+def test_repeats(docs, empty, spark, monkeypatch, piece, hot):
     monkeypatch.setattr(suffixes, "PIECE_BYTES", piece)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     few = [(d[0], d[1]) for d in DOCS if d[0] is not None][:-1]
     cut = [(i, (t or "")[:9000]) for i, t in few] + [(100, "ab" * 400), (101, LONG[5000:8000]), (102, "é" * 350)]
     table = spark.createDataFrame([*cut, (103, None), (None, "no id")], "doc_id long, text string").withColumn("spans", F.lit(1))

@@ -5,7 +5,9 @@ one. Two steps make this local. Each window of LENGTH bytes has a minimizer, its
 equals), so equal windows have equal minimizers; runs of windows with one minimizer are segments. Segments whose minimizer
 occurs once are unique and go no further. Of equal segments the earliest stands for all: all windows of the others are
 repeats. Where a minimizer has different segments, their suffixes are sorted, and the windows that share LENGTH bytes with
-an earlier one are marked. Shards are whole minimizer groups, gathered up to SHARD_BYTES.
+an earlier one are marked. Shards are whole minimizer groups, gathered up to SHARD_BYTES. A group of more than HOT different
+segments is not sorted in one place: each of its windows becomes a segment of its own with its own hash in place of the
+minimizer's, and equal ones have an earliest as above.
 
 A shard's array is built by induced sorting: suffixes are classed as larger or smaller than the next, leftmost-smaller
 substrings are sorted and named, their order is found on the string of names (by the same means while names are few, else
@@ -34,6 +36,8 @@ LENGTH, K = 100, 24
 SHARD_BYTES, PIECE_BYTES = 1 << 21, 1 << 20
 #: Names up to which the string of names is sorted by induction again.
 FEW_NAMES = 2048
+#: Different segments with one minimizer that one task may sort.
+HOT = 20_000
 _LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
@@ -329,6 +333,36 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([doc_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["least", "doc_id", "first", "data"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the segments that a document has to give, as a segment of its own: least, content, doc_id, place."""
+    for batch in batches:
+        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            at = np.unique(np.concatenate([(w["place"] >> 7) + np.arange(w["place"] & 127) for w in wanted]))
+            low = int(at[0])
+            sums, _, down = _hashes(data[low : int(at[-1]) + LENGTH])
+            one = (sums[at - low + LENGTH] - sums[at - low]) * down[at - low]
+            other = np.array([int.from_bytes(hashlib.blake2b(data[i : i + LENGTH], digest_size=8).digest(), "little") for i in at.tolist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(one).view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(at * 128 + 1)], ["least", "content", "doc_id", "place"])
+
+
+def _later(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Spans of all segments that are not the first of their class."""
+    many = classes.filter("n > 1").select("least", "content", "first")
+    start = F.shiftright("place", 7)
+    again = rows.join(many, ["least", "content"]).filter(F.struct("doc_id", "place") != F.col("first"))
+    return again.select("doc_id", start.alias("low"), (start + F.col("place").bitwiseAND(F.lit(127)) + (LENGTH - 1)).alias("high"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy("least", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
+
+
+def _wanted(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first segments of the classes in groups, gathered by document."""
+    return classes.join(groups, "least").groupBy("first.doc_id").agg(F.collect_list(F.struct("least", F.col("first.place").alias("place"))).alias("wanted"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and spans (low, high in bytes, which may overlap) of each document that has repeated windows.
 
@@ -339,15 +373,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = segments(own)
     shared = found.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least")
     twice = cut(found.join(shared, "least"))
-    classes = cut(twice.groupBy("least", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
-    mixed = classes.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least")
-    many = classes.filter("n > 1").select("least", "content", "first")
-    again = twice.join(many, ["least", "content"]).filter(F.struct("doc_id", "place") != F.col("first"))
-    again = again.select("doc_id", F.shiftright("place", 7).alias("low"), (F.shiftright("place", 7) + F.col("place").bitwiseAND(F.lit(127)) + (LENGTH - 1)).alias("high"))
-    wanted = classes.join(mixed, "least").groupBy("first.doc_id").agg(F.collect_list(F.struct("least", F.col("first.place").alias("place"))).alias("wanted"))
-    given = map_arrow(own.join(wanted, "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary").distinct()
-    marked = map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, low long, high long")
-    return again.union(marked).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    classes = _classes(twice)
+    groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
+    given = map_arrow(own.join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary").distinct()
+    spans = _later(twice, classes).union(map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, low long, high long"))
+    if hot.limit(1).count():
+        single = cut(map_arrow(own.join(_wanted(classes, hot), "doc_id").select("doc_id", "text", "wanted"), _windows, "least long, content long, doc_id long, place long"))
+        spans = spans.union(_later(single, _classes(single)))
+    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:

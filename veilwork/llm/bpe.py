@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm.common import Memo, many_small_objects, map_arrow, table
 
-STATES, MEMO, MEMO_CHARS = 200_000, 350_000, 48
+STATES, MEMO, MEMO_CHARS = 350_000, 700_000, 48
 
 
 class Transducer:
@@ -112,7 +112,7 @@ class Transducer:
             return self._whole[right]
         known = self._pairs.get(left << 20 | right)
         if known is None:
-            if len(self._pairs) > 4 * STATES:
+            if len(self._pairs) > 2 * STATES:
                 self._pairs.clear()
             even, _, closes = self._edges(left)
             if not (rising and even):

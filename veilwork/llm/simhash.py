@@ -1,6 +1,6 @@
 """SimHash fingerprints of word shingles, linked through BK-trees, and the components of their links.
 
-Fingerprints that differ in at most RADIUS of 64 bits agree on at least KEEP of BLOCKS equal blocks. Each distinct
+Fingerprints that differ in at most RADIUS of 64 bits agree on at least KEEP of RADIUS + KEEP equal blocks. Each distinct
 fingerprint goes into one bucket for each choice of KEEP blocks, so any two that link meet in a bucket. A bucket is cut
 into shards of about SHARD fingerprints; a shard's BK-tree (children keyed by their distance to the parent) goes to the
 bucket's queries, shard by shard, and a query follows only edges within the radius of its own distance. A shard task gives
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import cut, lowered, map_arrow, table, utf8
 
-RADIUS, BLOCKS, KEEP, SHARD = 4, 6, 2, 2048
+RADIUS, KEEP, SHARD = 4, 2, 2048
 SEED = 42
 _STEP = 1 << 15
 
@@ -155,7 +155,7 @@ def small_edges(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
 _FEW = 24
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Edges of the shards in a partition that is sorted by shard. A shard's rows are bounded, so it is held whole."""
     found: list[tuple[int, int]] = []
     key, tree, queries = None, [], []
@@ -163,11 +163,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ended() -> None:
         if key is None or not queries:
             return
-        if key[2] == key[3] and len(queries) <= _FEW:
-            found.extend(small_edges(queries))
+        if key[1] == key[2] and len(queries) <= _FEW:
+            found.extend(small_edges(queries, radius))
         else:
             whole = np.array(queries, np.int64).view(np.uint64)
-            found.extend(shard_edges(whole if key[2] == key[3] else np.array(tree, np.int64).view(np.uint64), whole))
+            found.extend(shard_edges(whole if key[1] == key[2] else np.array(tree, np.int64).view(np.uint64), whole, radius))
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
@@ -186,19 +186,21 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def bucket_keys(value: Column, n_blocks: int = BLOCKS, keep: int = KEEP) -> Column:
-    """An array of (which, bits): the bits of each choice of `keep` of the blocks, in place."""
+def bucket_keys(value: Column, n_blocks: int, keep: int) -> Column:
+    """A key for each choice of `keep` of the blocks: a hash of the choice and of the bits there. Keys that collide only
+    make a bucket larger."""
     border = [64 * i // n_blocks for i in range(n_blocks + 1)]
     masks = [sum(((1 << (border[i + 1] - border[i])) - 1) << border[i] for i in chosen) for chosen in itertools.combinations(range(n_blocks), keep)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*[F.struct(F.lit(k).alias("which"), value.bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])
+    return F.array(*[F.xxhash64(F.lit(k), value.bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
 
 
-def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b), a > b, that connect the distinct fingerprints in column `print` as their links do."""
-    keyed = distinct.select("print", F.explode(bucket_keys(F.col("print"))).alias("k")).select("k.which", "k.bits", "print")
-    sizes = keyed.groupBy("which", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = keyed.join(sizes, ["which", "bits"]).withColumn("parts", F.ceil(F.col("n") / shard).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+def links(distinct: DataFrame, shard: int = SHARD, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
+    """Edges (a, b), a > b, that connect the distinct fingerprints in column `print` as their links do. Any `keep` does:
+    more of it makes more, smaller buckets."""
+    keyed = distinct.select("print", F.explode(bucket_keys(F.col("print"), radius + keep, keep)).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / shard).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     # one part: a tree that its own fingerprints query; more: part i's tree for the queries of each part j >= i
     places = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("in_tree")))).otherwise(
         F.concat(
@@ -206,9 +208,9 @@ def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
             F.transform(F.filter(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: j > F.col("part")), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("in_tree"))),
         )
     )
-    shards = dealt.select("which", "bits", "print", F.explode(places).alias("p")).select("which", "bits", "p.i", "p.j", "print", "p.in_tree")
-    placed = shards.repartition("which", "bits", "i", "j").sortWithinPartitions("which", "bits", "i", "j")
-    return map_arrow(placed, _edges, "a long, b long").distinct()
+    shards = dealt.select("key", "print", F.explode(places).alias("p")).select("key", "p.i", "p.j", "print", "p.in_tree")
+    placed = shards.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_arrow(placed, lambda batches: _edges(batches, radius), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -233,21 +235,21 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(docs: DataFrame, width: int = 4) -> DataFrame:
+def components(docs: DataFrame, width: int = 4, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
     """doc_id, print, component_id of every document."""
     rows = cut(prints(docs, width))
     firsts = cut(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(firsts.select("print")))
+    roots = connected(links(firsts.select("print"), radius=radius, keep=keep))
     rooted = firsts.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("print", "component_id")
     return rows.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 4, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
     """The rows of docs, with their columns, whose id names their component. Rows that repeat an id stay or go together,
     unless their texts are of different components; rows without an id stay."""
-    found = components(docs, width).filter("doc_id is not null")
+    found = components(docs, width, radius, keep).filter("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -376,7 +376,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = _classes(twice)
     groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
-    given = map_arrow(own.join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary").distinct()
+    given = map_arrow(own.join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary")
     spans = _later(twice, classes).union(map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, low long, high long"))
     if hot.limit(1).count():
         single = cut(map_arrow(own.join(_wanted(classes, hot), "doc_id").select("doc_id", "text", "wanted"), _windows, "least long, content long, doc_id long, place long"))

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,11 +325,32 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from ended()
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Texts as zstandard frames, for joins that carry them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        columns = list(batch.columns)
+        columns[at] = pa.array([pack(x.as_py().encode()) if x.is_valid else None for x in columns[at]], pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def _squeezed(df: DataFrame) -> DataFrame:
+    at = df.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema.fields)
+    return map_arrow(df, lambda batches: _squeeze(batches, at), schema)
+
+
+def _data(value: pa.Scalar) -> bytes:
+    """The bytes of a text, or of one that was squeezed; null counts as empty."""
+    x = value.as_py()
+    return b"" if x is None else x.encode() if isinstance(x, str) else zstandard.ZstdDecompressor().decompress(x)
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that a document has to give: least, doc_id, first, data."""
     for batch in batches:
         for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = (text.as_py() or "").encode()
+            data = _data(text)
             rows = [(w["least"], w["place"] >> 7, data[w["place"] >> 7 : (w["place"] >> 7) + (w["place"] & 127) + LENGTH - 1]) for w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([doc_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["least", "doc_id", "first", "data"])
 
@@ -337,7 +359,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the segments that a document has to give, as a segment of its own: least, content, doc_id, place."""
     for batch in batches:
         for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            data = np.frombuffer(_data(text), np.uint8)
             at = np.unique(np.concatenate([(w["place"] >> 7) + np.arange(w["place"] & 127) for w in wanted]))
             low = int(at[0])
             sums, _, down = _hashes(data[low : int(at[-1]) + LENGTH])
@@ -376,10 +398,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = _classes(twice)
     groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
-    given = map_arrow(own.join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary")
+    given = map_arrow(_squeezed(own).join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary")
     spans = _later(twice, classes).union(map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, low long, high long"))
     if hot.limit(1).count():
-        single = cut(map_arrow(own.join(_wanted(classes, hot), "doc_id").select("doc_id", "text", "wanted"), _windows, "least long, content long, doc_id long, place long"))
+        single = cut(map_arrow(_squeezed(own).join(_wanted(classes, hot), "doc_id").select("doc_id", "text", "wanted"), _windows, "least long, content long, doc_id long, place long"))
         spans = spans.union(_later(single, _classes(single)))
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
@@ -400,7 +422,7 @@ def _kept(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Record
     for batch in batches:
         rows, texts = [], []
         for value, spans in zip(batch.column(1 if text_at < 0 else text_at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            data = (value.as_py() or "").encode()
+            data = _data(value)
             gone = merged(spans, len(data))
             left = data
             if gone:
@@ -425,7 +447,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
         name += "_"
     keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     found = repeats(docs).select(F.col("doc_id").alias(name), F.col("spans").alias(name + "s"))
-    return keyed.join(found, name, "left").drop(name)
+    return _squeezed(keyed).join(found, name, "left").drop(name)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op9_rules": rules.SQL}
+    return {"op1_warc": warc.SQL, "op9_rules": rules.SQL, "op10_suffixes": suffixes.SQL}

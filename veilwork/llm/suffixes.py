@@ -462,3 +462,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return map_arrow(rows, lambda b: _kept(b, -1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, CAST(2 * i + 1 AS INT), 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i) AS before FROM f)),
+r AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM g GROUP BY doc_id, run),
+p AS (SELECT r.doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY r.doc_id ORDER BY low), 0) AS since FROM r),
+k AS (SELECT p.doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans, max(high) AS last,
+        string_agg(substring(d.h, CAST(2 * since + 1 AS INT), CAST(2 * (low - since) AS INT)), '' ORDER BY low) AS kept
+      FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, CAST(2 * coalesce(last, 0) + 1 AS INT)))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -123,3 +123,10 @@ def test_stream(spark, tmp_path):
 def test_entry_without_optional_parts():
     code = "import sys; sys.modules['veilwork.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_names_to_reinsert(spark):
+    from veilwork.operators import names
+
+    words = spark.createDataFrame([("AdaRowe", "Ada"), ("ADA", "Ada"), ("ada@example.com", "Ada"), ("ÁdaRowe", "Áda"), ("Rowe", "Ada"), ("AdaX", None), ("ＡｄａＲ", "ada"), (None, "Ada")], "text string, keep string")
+    assert sorted((r.text, r.again) for r in names.to_reinsert(words).collect()) == [("AdaRowe", "Ada"), ("ＡｄａＲ", "Ａｄａ")]

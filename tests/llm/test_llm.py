@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, classifier, extraction, licences, media, packing, queries, rules, simhash, suffixes, warc
+from veilwork.llm import bpe, classifier, extraction, licences, media, packing, queries, rules, shingles, simhash, suffixes, warc
 
 SF = "/root/testdata/sf0.001"
 random.seed(11)
@@ -411,3 +411,53 @@ def test_pipeline(spark):
     assert counts[0] > counts[1] >= counts[2] > counts[3] == counts[4] > 0.5 * counts[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def _shingles(text, width=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def _copies():
+    """Texts with copies at all similarities from 0.5 to 1: by words changed here and there, by longer ends, and in chains."""
+    rng = random.Random(5)
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for n in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 200]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for at in rng.sample(range(len(words)), rng.randrange(1, 2 + len(words) // 40)):
+                other[at] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(other + [f"y{rng.randrange(3000)}" for _ in range(rng.randrange(1 + len(words) // 8))]))
+            words = other if n % 2 else words
+    return texts
+
+
+@pytest.mark.parametrize("shard", [512, 3])
+def test_near_copies_by_jaccard(spark, empty, shard):
+    texts = _copies()
+    sets = [_shingles(t) for t in texts]
+    of = list(range(len(texts)))
+    bands = collections.Counter()
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        bands[int(s * 20)] += 1
+        if s >= 0.8:
+            low, high = sorted((of[a], of[b]))
+            of = [low if x == high else x for x in of]
+    assert all(bands[k] > 3 for k in range(12, 19)) and bands[19]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in rows(shingles.components(df, shard=shard))}
+    assert got == dict(enumerate(of)) and shingles.components(empty).count() == 0
+    if shard == 512:
+        corpus_pipeline = pytest.importorskip("corpus_pipeline")
+        assert sorted(r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["near_copies"](spark, df, SF))) == sorted(set(of))
+
+
+def test_near_copies_ids(docs):
+    got = rows(shingles.components(docs))
+    assert len(got) == len(DOCS)
+    assert {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2, 3)} == {0} and {r["component_id"] for r in got if r["doc_id"] in (8, 9)} == {8}
+    kept = rows(shingles.keep_first(docs))
+    assert sum(r["doc_id"] is None for r in kept) == 1 and {0, 4, 8} <= {r["doc_id"] for r in kept} and not {1, 2, 3, 9} & {r["doc_id"] for r in kept}

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -167,6 +168,20 @@ def test_licences(docs, empty):
     assert labels[15] == "mit,mit-notice" and labels[16] == "apache,gpl,gpl-3.0"
 
 
+@pytest.mark.parametrize("label, notice, key, share", licences.TEMPLATES)
+def test_licence_without_its_rarest_words(label, notice, key, share):
+    """Whatever words the corpus makes rare, a notice with its key phrase and enough of its other words is found."""
+    words = notice.split()
+    at = next(k for k in range(len(words)) if words[k : k + len(key.split())] == key.split())
+    for lacking in set(range(len(words))) - set(range(at, at + len(key.split()))):
+        if (len(words) - 1) / len(words) < share:
+            continue
+        text = " ".join("zzz" if k == lacking else w for k, w in enumerate(words))
+        weights = {w: 1.0 for w in licences._words()} | {words[lacking]: 10.0}
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["doc_id", "text"])
+        assert label in next(licences._scan(iter([batch]), weights)).column("labels")[0].as_py().split(","), (text, lacking)
+
+
 # --- packing
 
 

@@ -1,8 +1,9 @@
 """License scans with a positional index of rare words.
 
 Templates are short licence notices. The index lists, for each licence word, the templates and places where it stands.
-Each file looks up its licence words of high IDF (over all documents); a posting fixes where the template would begin,
-and the template is matched there by relative position. It counts only if its mandatory key phrase stands in its place.
+Each file looks up the rarest word of each key phrase and its other licence words of high IDF (over all documents); a
+posting fixes where the template would begin, and the template is matched there by relative position. It counts only if
+its mandatory key phrase stands in its place.
 The base phrases are templates that are key phrases as a whole, so all their places are found.
 
 Words are found in blocks of bytes, and only licence words get numbers, so a block costs a few passes over its bytes.
@@ -42,7 +43,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", 0.8),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", 0.8),
 )
-#: Words of an IDF under this part of the largest don't begin a lookup; a phrase's own rarest word always does.
+#: The rarest word of a key phrase always begins a lookup: the phrase must stand there, so no notice is lost. Other words
+#: do if their IDF is at least this part of the largest.
 RARE = 0.5
 _IS_WORD = np.array([b >= 128 or chr(b).isdigit() or chr(b).isalpha() for b in range(256)])
 
@@ -126,10 +128,11 @@ def _scan(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Itera
     for kind, (label, text, key, share) in [(0, (label, p, p, 1.0)) for label, p in PHRASES] + [(1, t) for t in TEMPLATES]:
         words = [number[w] for w in text.split()]
         ranked = sorted(range(len(words)), key=lambda k: -weights[text.split()[k]])
-        rare = [ranked[0]] if kind == 0 else [k for k in ranked if weights[text.split()[k]] >= RARE * top] or ranked[:1]
         own, phrase = text.split(), key.split()
         key_at = next(k for k in range(len(own)) if own[k : k + len(phrase)] == phrase)
-        index.append((kind, label, words, rare, range(key_at, key_at + len(phrase)), share))
+        in_key = range(key_at, key_at + len(phrase))
+        rare = sorted({next(k for k in ranked if k in in_key)} | {k for k in ranked if kind and weights[own[k]] >= RARE * top})
+        index.append((kind, label, words, rare, in_key, share))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     for batch in batches:
         columns: list[list] = [[] for _ in names[1:]]

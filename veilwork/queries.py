@@ -245,7 +245,7 @@ def label_lines_gone(spark, d):
 
 @query()
 def residue_sweep(spark, d):
-    rows = cv_lines(spark, d).filter("idx < 2").withColumn("first", F.split_part("text", F.lit(" "), F.lit(1)))
+    rows = cv_lines(spark, d).withColumn("first", F.split_part("text", F.lit(" "), F.lit(1)))
     return redaction.redact_lines(rows.withColumn("header", F.lit(True))).select("doc_id", "idx", "redacted")
 
 

@@ -86,3 +86,10 @@ def test_residue_sweep_has_every_line(spark):
     got = {(r.doc_id, r.idx): r.redacted for r in queries.queries()["residue_sweep"](spark, d).collect()}
     assert {i for _, i in got} == set(range(8))
     assert got == {k: redacted(t, header=True, first=t.split(" ")[0]) for k, t in lines.items()}
+
+
+def test_default_places_are_whole(spark):
+    assert len(set(P.PLACES)) == len(P.PLACES) == 218
+    towns = ["Kolhapur", "Ujjain", "Sonargaon", "Nakuru", "Rajshahi", "Tiruchirappalli"]
+    found = redact_lines(spark.createDataFrame([(t + " | ada@example.com", True) for t in towns], "text string, header boolean"))
+    assert all(r.redacted.strip() == "" and "CITY" in {s.kind for s in r.decision.spans} for r in found.collect())

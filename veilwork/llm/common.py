@@ -71,6 +71,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def valid_utf8(column: pa.Array) -> pa.Array:
+    """A string column whose bytes are UTF-8: rows that hold others get U+FFFD for them."""
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], column.type)
+
+
 def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes each, or of one row."""
     low, n = 0, len(offsets) - 1

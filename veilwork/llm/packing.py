@@ -4,7 +4,7 @@ A document of n tokens gives n >> 11 pieces of 2048 and one piece for each lower
 itself, so no sequence crosses documents and none is padded; a batch takes its sequences from one bucket.
 
 Defined results: null text counts as empty, so each document has its end token at least; a null doc_id stays null and
-repeated rows are packed as often as they occur; equal texts give equal pieces; other columns are not read; texts of any
+repeated rows are packed as often as they occur; equal texts give equal pieces; bytes that are no UTF-8 count as U+FFFD; other columns are not read; texts of any
 length are packed whole. Sequence ids are unique within a result.
 """
 
@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import Memo, many_small_objects, map_arrow, table
+from veilwork.llm.common import Memo, many_small_objects, map_arrow, table, valid_utf8
 
 MOST, END = 2048, 1
 MEMO, MEMO_CHARS = 350_000, 48
@@ -110,7 +110,7 @@ def _rows(batches: Iterator[pa.RecordBatch], name: str, with_ids: bool) -> Itera
 
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), map(own.of, (x.as_py() or "" for x in batch.column(1))), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), map(own.of, (x.as_py() or "" for x in valid_utf8(batch.column(1)))), strict=True):
             ids = ids.astype("<u4").tobytes() + end
             n = len(ids) // 4
             for start, length in pieces(n):

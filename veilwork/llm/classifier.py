@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import blocks, lowered, map_arrow, table, utf8, word_bounds
+from veilwork.llm.common import blocks, lowered, map_arrow, mixed, prefix_hashes, table, utf8, word_bounds
 
 #: Labelled rows to fit on at most, buckets of hashed words, factors.
 SAMPLE, BUCKETS, FACTORS = 3000, 1 << 15, 6
@@ -57,15 +57,9 @@ DENSE = 12
 
 
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A bucket for each word, from its first and last eight bytes and its length."""
-    room = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
-    view = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
-    lengths = ends - starts
-    mask = np.where(lengths >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(lengths, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
-    head, tail = view[starts] & mask, view[np.maximum(starts, ends - 8)] & mask
-    h = (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int64)
+    """A bucket for each word, from all its bytes."""
+    sums, down = prefix_hashes(data)
+    return (mixed((sums[ends] - sums[starts]) * down[starts]) >> np.uint64(49)).astype(np.int64)
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,30 +163,31 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fits a machine on at most `sample` labelled rows of docs that are not held out."""
+    """Fits a machine on at most `sample` labelled rows of docs that are not held out. Of rows that repeat an id, the one of
+    the least text counts, so the rows that reach the driver are bounded whatever the ids."""
     rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     few = rows.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(few), "doc_id").selectExpr("text", "cast(label as int) label", "doc_id")
+    joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
     found = map_arrow(joined.select("text", "label"), _sampled, "bucket binary, value binary, dense binary, label int").collect()
     found.sort(key=lambda r: (r.bucket, r.value, r.dense, r.label))
     return fit([(np.frombuffer(r.bucket, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4"), np.frombuffer(r.dense, "<f4"), int(r.label == 1)) for r in found])
 
 
-def _score(batches: Iterator[pa.RecordBatch], machine: Machine, at: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], machine: Machine, at: int, into: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         score = np.empty(batch.num_rows)
         for low, high, *found in features(batch.column(at)):
             score[low:high] = machine.scores(*found)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, into])
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs, with its columns, and `score`."""
+def score(docs: DataFrame, machine: Machine, into: str = "score") -> DataFrame:
+    """docs, with its columns, and the score in a new one, which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    docs = docs.drop("score")
+    docs = docs.drop(into)
     at = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    return map_arrow(docs, lambda b: _score(b, shared.value, at), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{into}` double"
+    return map_arrow(docs, lambda b: _score(b, shared.value, at, into), schema)
 
 
 def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,5 +197,8 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs, with their columns, of a score of 0.5 or more."""
-    return score(docs, machine).filter("score >= 0.5").select(*docs.columns)
+    """The rows of docs, with their columns, of a score of 0.5 or more; a column `score` of docs stays as it is."""
+    into = "score_"
+    while into in docs.columns:
+        into += "_"
+    return score(docs, machine, into).filter(F.col(into) >= 0.5).select(*docs.columns)

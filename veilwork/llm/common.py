@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, a temporary one does for a
+    local session (tests); on a cluster other machines would not see it, so that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if at:
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(at)
         return at
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilwork-"))
     return sc.getCheckpointDir()
 
@@ -42,17 +45,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+    """df written as Parquet to the shared folder and read again. What is read has a known size and no partitioning, so a
+    join with it may be broadcast or split where a key is hot."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a stash that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for at in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches bounded by bytes as well as by rows, so that long texts don't pile up in a worker."""
+    """mapInArrow with batches bounded by bytes as well as by rows, so that long texts don't pile up in a worker. Spark
+    reads these two settings when it plans, which may be at any later time, so they are only ever lowered for the session."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(f, schema)
 
 
@@ -110,6 +125,34 @@ def word_bounds(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets, "left")
 
 
+_B = 0x9E3779B97F4A7C15
+_B_INVERSE = pow(_B, -1, 1 << 64)
+_UP: list[np.ndarray] = []
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def prefix_hashes(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial over the bytes before each place, and the inverse powers that bring a difference of sums to
+    one place: (sums[b] - sums[a]) * down[a] depends on the bytes from a to b alone."""
+    n = len(part) + 1
+    if not _UP or len(_UP[0]) < n:
+        _UP[:] = [_powers(_B, max(n, BLOCK_BYTES)), _powers(_B_INVERSE, max(n, BLOCK_BYTES))]
+    sums = np.zeros(n, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[0][: n - 1], out=sums[1:])
+    return sums, _UP[1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 class Memo(dict):
     """Results of make by short key, in two generations of at most so many entries each; what is in use stays."""
 

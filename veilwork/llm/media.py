@@ -5,7 +5,8 @@ one another and with those of the following frames; a pair's code holds both fre
 is stored with the time of its first peak.
 
 Defined results: null text counts as empty, and an empty payload is padded to one unit; equal payloads give equal
-fingerprints; other columns are not read; texts of any length are used whole, by blocks of frames.
+fingerprints; other columns are not read; texts of any length are used whole, by blocks of frames; bytes that are no
+UTF-8 are kept as they are.
 """
 
 from __future__ import annotations
@@ -103,32 +104,26 @@ def media_column(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _store, "doc_id long, n_bytes long, media binary")
 
 
-def _features(batches: Iterator[pa.RecordBatch], arrays: bool) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
     for batch in batches:
         rows: list[tuple] = []
-        at, codes = [], []
         for m in batch.column(2):
             media = m.as_py()
             samples = from_wav(media)
             t, c = fingerprint(samples)
             feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            if arrays:
-                at.append(t)
-                codes.append(c)
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        out = [batch.column(0), batch.column(1), *(pa.array(c, pa.string() if k in (1, 4, 5) else pa.int64()) for k, c in enumerate(columns))]
-        if arrays:
-            out += [pa.array(at, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(out, names + ["times", "codes"] * arrays)
+            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, t, c))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
 
-def fingerprints(media: DataFrame, arrays: bool = True) -> DataFrame:
-    """What is read back from a column of WAV files; with arrays, also the time-coded pairs themselves."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), lambda b: _features(b, arrays), schema + ", times array<int>, codes array<int>" * arrays)
+def fingerprints(media: DataFrame) -> DataFrame:
+    """What is read back from a column of WAV files: digests, and the pairs of peaks as arrays of times and codes."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), _features, schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(media_column(table(spark, sf_dir, "documents")), arrays=False)
+    return fingerprints(media_column(table(spark, sf_dir, "documents")))

@@ -11,6 +11,7 @@ length are packed whole. Sequence ids are unique within a result.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -30,6 +31,20 @@ MEMO, MEMO_CHARS = 350_000, 48
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
 
+# What a vocabulary file says of itself if its words end at white space and letters are lower-cased one by one.
+_NORMALS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_words(path: str) -> bool:
+    """Whether words between white space can be encoded one by one; else texts take the whole way."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    normals = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+    splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return normals == _NORMALS and len(splits) == 2 and splits[0].get("pattern") == {"Regex": _SPLIT} and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+
+
 def _byte_chars() -> dict[int, int]:
     """The characters that stand for bytes in such vocabularies: printable ones for themselves, others from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -49,6 +64,7 @@ class Ids:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
+        self._by_words = _by_words(path)
         self._kind = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._memo = Memo(self._encode, MEMO, MEMO_CHARS)
         self._words = Memo(self._merged, MEMO // 2, MEMO_CHARS)
@@ -69,9 +85,11 @@ class Ids:
     def of(self, text: str) -> np.ndarray:
         """The ids of a text.
 
-        The vocabulary drops white space and no entry goes over it, so a text's ids are those of its parts between
+        Where the vocabulary drops white space and no entry goes over it, a text's ids are those of its parts between
         spaces and line ends, in order.
         """
+        if not self._by_words:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._kind)
         memo = self._memo
         return np.frombuffer(b"".join([memo[x] for x in text.replace("\n", " ").split(" ")]), self._kind)
 

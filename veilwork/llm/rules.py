@@ -119,6 +119,11 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does to the documents of a corpus."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -141,3 +146,9 @@ f AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_rep
         + CASE WHEN n_words >= 10 AND 10 * n_shouts > 5 * n_words THEN 32 ELSE 0 END AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM f
 """
+
+ABLATIONS_SQL = (
+    SQL[: SQL.rindex("SELECT doc_id, n_words")]
+    + "SELECT rule, CAST(sum((failed >> bit) & 1) AS BIGINT) AS n_failed, count(*) FILTER (failed = 1 << bit) AS n_only, CAST(bit_or(failed) AS BIGINT) AS ever_failed"
+    + f" FROM f, (VALUES {', '.join(f'({bit}, {name!r})' for bit, name, _ in RULES)}) r(bit, rule) GROUP BY rule"
+)

@@ -3,21 +3,25 @@
 A byte goes if a string of LENGTH bytes over it also starts earlier: in a document of smaller id, or earlier in the same
 one. Two steps make this local. Each window of LENGTH bytes has a minimizer, its K-gram of least hash (the leftmost of
 equals), so equal windows have equal minimizers; runs of windows with one minimizer are segments. Segments whose minimizer
-occurs once are unique and go no further. Of equal segments the earliest stands for all: all windows of the others are
-repeats. Where a minimizer has different segments, their suffixes are sorted, and the windows that share LENGTH bytes with
-an earlier one are marked. Shards are whole minimizer groups, gathered up to SHARD_BYTES. A group of more than HOT different
-segments is not sorted in one place: each of its windows becomes a segment of its own with its own hash in place of the
-minimizer's, and equal ones have an earliest as above.
+occurs once are unique and go no further. Of equal segments (by two 64-bit hashes, of the minimizer and of all bytes) the
+earliest stands for all: all windows of the others are repeats. Where a minimizer has different segments, their suffixes
+are sorted, and the windows that share LENGTH bytes with an earlier one are marked. Shards are whole minimizer groups,
+gathered up to SHARD_BYTES. A group of more than HOT different segments is split by further bytes: its segments are cut,
+at equal distances from the minimizer, into narrower ones of NARROWER windows at most, and the bytes that all windows of a
+narrower one share take the place of the minimizer. Those groups are sorted in shards as above; what is still hot is cut
+into single windows, whose group is one class.
 
 A shard's array is built by induced sorting: suffixes are classed as larger or smaller than the next, leftmost-smaller
-substrings are sorted and named, their order is found on the string of names (by the same means while names are few, else
-by doubling), and all others are induced from it, a bucket of the alphabet at a time. Common prefixes are computed in
+substrings are sorted and named, their order is found on the string of names by the same means, however many names there
+are, and all others are induced from it: a bucket at a time where letters are bytes, and where letters are names and a
+bucket holds few, all buckets at once, by the letters up to the next suffix that is in order. Common prefixes are computed in
 text order (permuted), against each suffix's predecessor in the array, eight bytes at a time, up to LENGTH.
 
-Defined results: null text counts as empty; texts under LENGTH bytes lose nothing; rows without an id come after all
-others and among themselves count as one place; rows that repeat an id count as one document, and lose what any of them
-would lose; an empty table gives no rows; other columns are not read by `repeats` and stay in `without_repeats`, which
-also drops what is left of a character that is cut.
+Defined results: null text counts as empty; bytes that are no UTF-8 count as U+FFFD; texts under LENGTH bytes lose
+nothing; rows without an id come after all others. Rows that share an id, or have none, and differ in text are documents
+of their own, in the order of a hash of their texts; those of equal texts too are one document that is given more than
+once, and lose the same. An empty table gives no rows; other columns are not read by `repeats` and stay in
+`without_repeats`, which also drops what is left of a character that is cut.
 """
 
 from __future__ import annotations
@@ -31,53 +35,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import blocks, cut, map_arrow, table, utf8
+from veilwork.llm.common import blocks, cut, map_arrow, mixed, prefix_hashes, stash, table, utf8, valid_utf8
 
 LENGTH, K = 100, 24
 SHARD_BYTES, PIECE_BYTES = 1 << 21, 1 << 20
-#: Names up to which the string of names is sorted by induction again.
-FEW_NAMES = 2048
-#: Different segments with one minimizer that one task may sort.
-HOT = 20_000
+#: Different segments with one minimizer that one task may sort, and windows of the segments that more are cut into.
+HOT, NARROWER = 20_000, (8, 1)
+#: Letters up to which induction goes by buckets.
+BYTES = 256
 _LAST = (1 << 63) - 1
-_B = 0x9E3779B97F4A7C15
-_B_INVERSE = pow(_B, -1, 1 << 64)
 _PLACE = np.uint64((1 << 22) - 1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP: list[np.ndarray] = []
-
-
-def _hashes(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of a polynomial over the bytes before each place, and the inverse powers that bring a difference of sums to
-    one place."""
-    n = len(part) + 1
-    if not _UP or len(_UP[0]) < n:
-        _UP[:] = [_powers(_B, max(n, 2 * PIECE_BYTES)), _powers(_B_INVERSE, max(n, 2 * PIECE_BYTES))]
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[0][: n - 1], out=sums[1:])
-    return sums, _UP[0], _UP[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def _segments(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
     """Minimizer hash, content hash, row, first window and number of windows of each segment of the rows in part."""
     size = len(part)
     if size < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    sums, _, down = _hashes(part)
-    grams = _mix((sums[K:] - sums[:-K]) * down[: size - K + 1])
+    sums, down = prefix_hashes(part)
+    grams = mixed((sums[K:] - sums[:-K]) * down[: size - K + 1])
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     width, reach = LENGTH - K + 1, 1
     while 2 * reach <= width:
@@ -91,14 +67,17 @@ def _segments(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
     turn = np.ones(len(place) + 1, bool)
     turn[1:-1] = (place[1:] != place[:-1]) | ~valid[1:] | ~valid[:-1]
     begin, last = np.flatnonzero(valid & turn[:-1]), np.flatnonzero(valid & turn[1:])
-    content = _mix((sums[last + LENGTH] - sums[begin]) * down[begin]) ^ (last - begin).astype(np.uint64)
-    return grams[place[begin]].view(np.int64), _mix(content).view(np.int64), row[begin], begin - own[row[begin]], last - begin + 1
+    content = mixed((sums[last + LENGTH] - sums[begin]) * down[begin]) ^ (last - begin).astype(np.uint64)
+    return grams[place[begin]].view(np.int64), mixed(content).view(np.int64), row[begin], begin - own[row[begin]], last - begin + 1
+
+
+SEGMENTS = "least long, content long, doc_id long, twin long, place long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = utf8(valid_utf8(batch.column(2)))
+        ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for low, high in blocks(offsets, PIECE_BYTES):
             whole = offsets[high] - offsets[low]
             for base in range(0, whole if high - low == 1 else 1, PIECE_BYTES):
@@ -110,12 +89,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = offsets[low : high + 1] - offsets[low]
                 least, content, row, first, n = _segments(part, own)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(content), pa.array(ids[low + row]), pa.array((first + base) * 128 + n)], ["least", "content", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(content), pa.array(ids[low + row]), pa.array(twins[low + row]), pa.array((first + base) * 128 + n)], ["least", "content", "doc_id", "twin", "place"])
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """least, content, doc_id, place (first window * 128 + number of windows) of every segment."""
-    return map_arrow(docs, _scan, "least long, content long, doc_id long, place long")
+    """least, content, doc_id, twin, place (first window * 128 + number of windows) of every segment."""
+    return map_arrow(docs.select("doc_id", "twin", "text"), _scan, SEGMENTS)
 
 
 # --- suffix arrays
@@ -186,56 +165,94 @@ def _induced(t: np.ndarray, letters: int, smaller: np.ndarray, leftmost: np.ndar
     return np.concatenate([x for c in range(letters) for x in (*larger_in[c], *(p[::-1] for p in reversed(smaller_in[c])))])
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names, by ranks of prefixes of doubling length."""
-    n, reach = len(names), 1
-    rank = names.astype(np.int64)
+def _refined(at: np.ndarray, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings of codes, and a number for each string that equal ones share. String i begins at at[i] and ends
+    with the first code after its own first one that is marked in stop. Only strings that are still equal go on."""
+    order = np.argsort(code[at], kind="stable")
+    own = code[at][order]
+    group = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+    going, k = np.arange(len(at)), 0
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
-            return order
-        reach *= 2
+        alone = np.ones(len(going) + 1, bool)
+        alone[1:-1] = group[going][1:] != group[going][:-1]
+        going = going[~(alone[:-1] & alone[1:])]
+        if k:
+            going = going[~stop[at[order[going]] + k]]
+        if not len(going):
+            break
+        k += 1
+        own = code[at[order[going]] + k]
+        when = np.lexsort((own, group[going]))
+        order[going] = order[going[when]]
+        own, held = own[when], group[going]
+        new = np.zeros(len(group), np.int64)
+        new[going[1:][(own[1:] != own[:-1]) & (held[1:] == held[:-1])]] = 1
+        new[1:] += group[1:] != group[:-1]
+        group = np.cumsum(new)
+    number = np.empty(len(at), np.int64)
+    number[order] = group
+    return order, number
+
+
+def _induced_by_runs(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """The same as `_induced`, all buckets at once: a larger suffix is in the order of its letters up to the next leftmost
+    smaller one and that one's rank; a smaller suffix in that of its letters up to the next larger one and its rank."""
+    n = len(t)
+    rank = np.zeros(n, np.int64)
+    rank[leftmost] = np.arange(1, len(leftmost) + 1)
+    room = len(leftmost) + 1
+    larger = np.flatnonzero(~smaller)
+    larger = larger[_refined(larger, t * room + rank, rank > 0)[0]] if len(larger) else larger
+    room = len(larger) + 1
+    rank[:] = len(larger)
+    rank[larger] = np.arange(len(larger))
+    end = np.zeros(n, bool)
+    end[larger] = True
+    end[-1] = True
+    lesser = np.flatnonzero(smaller)
+    lesser = lesser[_refined(lesser, t * room + rank, end)[0]]
+    return np.concatenate([larger, lesser])[np.argsort(np.concatenate([t[larger] * 2, t[lesser] * 2 + 1]), kind="stable")]
 
 
 def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
     """The order of all suffixes of t, whose last letter is the only 0."""
+    by_bucket = letters <= BYTES
     smaller = _smaller(t)
     first = smaller.copy()
     first[0] = False
     first[1:] &= ~smaller[:-1]
     leftmost = np.flatnonzero(first)
+
+    def induced(ordered: np.ndarray) -> np.ndarray:
+        return _induced(t, letters, smaller, ordered) if by_bucket else _induced_by_runs(t, smaller, ordered)
+
     if len(leftmost) < 2:
-        return _induced(t, letters, smaller, leftmost)
-    end = np.full(len(t), len(t) - 1)
-    end[leftmost[:-1]] = leftmost[1:]
-    ordered = _induced(t, letters, smaller, leftmost)
-    ordered = ordered[first[ordered]]
-    a, b = ordered[:-1], ordered[1:]
-    same = (end[a] - a) == (end[b] - b)
-    going, k = np.flatnonzero(same), 0
-    while len(going):  # letter by letter over those that are still equal
-        at = a[going] + k
-        equal = t[at] == t[b[going] + k]
-        same[going[~equal]] = False
-        going = going[equal & (at < end[a[going]])]
-        k += 1
-    name = np.empty(len(t), np.int64)
-    name[ordered] = np.concatenate([[0], np.cumsum(~same)])
-    names = name[leftmost]
+        return induced(leftmost)
+    if by_bucket:
+        end = np.full(len(t), len(t) - 1)
+        end[leftmost[:-1]] = leftmost[1:]
+        ordered = induced(leftmost)
+        ordered = ordered[first[ordered]]
+        a, b = ordered[:-1], ordered[1:]
+        same = (end[a] - a) == (end[b] - b)
+        going, k = np.flatnonzero(same), 0
+        while len(going):  # letter by letter over those that are still equal
+            at = a[going] + k
+            equal = t[at] == t[b[going] + k]
+            same[going[~equal]] = False
+            going = going[equal & (at < end[a[going]])]
+            k += 1
+        name = np.empty(len(t), np.int64)
+        name[ordered] = np.concatenate([[0], np.cumsum(~same)])
+        names = name[leftmost]
+    else:
+        _, names = _refined(leftmost, t * 2 + smaller, first)
     if names.max() + 1 == len(names):
         inner = np.empty(len(names), np.int64)
         inner[names] = np.arange(len(names))
-    elif names.max() < FEW_NAMES:
-        inner = suffix_array(names, int(names.max()) + 1)
     else:
-        inner = _doubled(names)
-    return _induced(t, letters, smaller, leftmost[inner])
+        inner = suffix_array(names, int(names.max()) + 1)
+    return induced(leftmost[inner])
 
 
 def common_prefixes(data: np.ndarray, at: np.ndarray, before: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -299,26 +316,28 @@ def _runs(part: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[bytes] = []
-    ids: list[int] = []
-    firsts: list[int] = []
+    held: tuple[list[int], ...] = ([], [], [])  # doc_id, twin, first
     size, last = 0, None
 
     def ended() -> Iterator[pa.RecordBatch]:
-        own, at = np.array(ids, np.int64), np.array(firsts, np.int64)
-        part, first, n = _runs(*repeated_windows(parts, own, at))
+        docs, twins, at = (np.array(x, np.int64) for x in held)
+        order = np.lexsort((twins, docs))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum((docs[order][1:] != docs[order][:-1]) | (twins[order][1:] != twins[order][:-1]))])
+        part, first, n = _runs(*repeated_windows(parts, rank, at))
         if len(part):
-            yield pa.RecordBatch.from_arrays([pa.array(own[part]), pa.array(at[part] + first), pa.array(at[part] + first + n + LENGTH - 1)], ["doc_id", "low", "high"])
-        for x in (parts, ids, firsts):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[part], twins[part], at[part] + first, at[part] + first + n + LENGTH - 1)], ["doc_id", "twin", "low", "high"])
+        for x in (parts, *held):
             x.clear()
 
     for batch in batches:
-        for least, doc_id, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        for least, doc_id, twin, first, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
             if size >= SHARD_BYTES and least != last:
                 yield from ended()
                 size = 0
             parts.append(data.as_py())
-            ids.append(doc_id)
-            firsts.append(first)
+            for x, value in zip(held, (doc_id, twin, first), strict=True):
+                x.append(value)
             size += len(parts[-1])
             last = least
     if parts:
@@ -330,7 +349,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         columns = list(batch.columns)
-        columns[at] = pa.array([pack(x.as_py().encode()) if x.is_valid else None for x in columns[at]], pa.binary())
+        columns[at] = pa.array([pack(x) if x is not None else None for x in valid_utf8(columns[at]).cast(pa.binary()).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
@@ -341,69 +360,98 @@ def _squeezed(df: DataFrame) -> DataFrame:
 
 
 def _data(value: pa.Scalar) -> bytes:
-    """The bytes of a text, or of one that was squeezed; null counts as empty."""
-    x = value.as_py()
-    return b"" if x is None else x.encode() if isinstance(x, str) else zstandard.ZstdDecompressor().decompress(x)
+    """The bytes of a text that was squeezed; null counts as empty."""
+    return zstandard.ZstdDecompressor().decompress(value.as_py()) if value.is_valid else b""
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments that a document has to give: least, doc_id, first, data."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[dict]]]:
+    """doc_id, twin, bytes and wanted segments of each document that has some to give."""
     for batch in batches:
-        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = _data(text)
-            rows = [(w["least"], w["place"] >> 7, data[w["place"] >> 7 : (w["place"] >> 7) + (w["place"] & 127) + LENGTH - 1]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([doc_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["least", "doc_id", "first", "data"])
+        for doc_id, twin, text, wanted in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            yield doc_id, twin, _data(text), wanted
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the segments that a document has to give, as a segment of its own: least, content, doc_id, place."""
-    for batch in batches:
-        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = np.frombuffer(_data(text), np.uint8)
-            at = np.unique(np.concatenate([(w["place"] >> 7) + np.arange(w["place"] & 127) for w in wanted]))
-            low = int(at[0])
-            sums, _, down = _hashes(data[low : int(at[-1]) + LENGTH])
-            one = (sums[at - low + LENGTH] - sums[at - low]) * down[at - low]
-            other = np.array([int.from_bytes(hashlib.blake2b(data[i : i + LENGTH], digest_size=8).digest(), "little") for i in at.tolist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(one).view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(at * 128 + 1)], ["least", "content", "doc_id", "place"])
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the segments that a document has to give: least, doc_id, twin, first, data."""
+    for doc_id, twin, data, wanted in _asked(batches):
+        n = len(wanted)
+        first = [w["place"] >> 7 for w in wanted]
+        parts = [data[i : i + (w["place"] & 127) + LENGTH - 1] for i, w in zip(first, wanted, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([w["least"] for w in wanted], pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array([twin] * n, pa.int64()), pa.array(first, pa.int64()), pa.array(parts, pa.binary())], ["least", "doc_id", "twin", "first", "data"])
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The segments that a document has to give, cut into ones of `width` windows at most at multiples of the width from
+    the minimizer, so equal windows are in pieces that begin alike. What stands for the minimizer is the bytes that all
+    windows of a whole piece share."""
+    for doc_id, twin, data, wanted in _asked(batches):
+        rows = []
+        for first, n, least in {(w["place"] >> 7, w["place"] & 127, w["least"]) for w in wanted}:
+            gram = first
+            if width > 1:
+                part = np.frombuffer(data[first : first + n + LENGTH - 1], np.uint8)
+                sums, down = prefix_hashes(part)
+                gram += int(np.flatnonzero(mixed((sums[K:] - sums[:-K]) * down[: len(part) - K + 1]).view(np.int64) == least)[0])
+            last = first + n - 1
+            for block in range((gram - last) // width, (gram - first) // width + 1):
+                low, high = gram - block * width - width + 1, gram - block * width  # windows of the whole piece
+                core = data[high : low + LENGTH] + (b"%d" % block if width > 1 else b"")
+                a, b = max(low, first), min(high, last)
+                rows.append((_digest(core), _digest(data[a : b + LENGTH] + b"%d" % (a - low)), a * 128 + b - a + 1))
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array([twin] * n, pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["least", "content", "doc_id", "twin", "place"])
 
 
 def _later(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Spans of all segments that are not the first of their class."""
     many = classes.filter("n > 1").select("least", "content", "first")
     start = F.shiftright("place", 7)
-    again = rows.join(many, ["least", "content"]).filter(F.struct("doc_id", "place") != F.col("first"))
-    return again.select("doc_id", start.alias("low"), (start + F.col("place").bitwiseAND(F.lit(127)) + (LENGTH - 1)).alias("high"))
+    again = rows.join(many, ["least", "content"]).filter(F.struct("doc_id", "twin", "place") != F.col("first"))
+    return again.select("doc_id", "twin", start.alias("low"), (start + F.col("place").bitwiseAND(F.lit(127)) + (LENGTH - 1)).alias("high"))
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    return cut(rows.groupBy("least", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
+def _asking(texts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, twin, text (squeezed) and `wanted`: the first segments of the classes in groups, gathered by document."""
+    wanted = classes.join(groups, "least").groupBy("first.doc_id", "first.twin").agg(F.collect_list(F.struct("least", F.col("first.place").alias("place"))).alias("wanted"))
+    return texts.join(wanted, ["doc_id", "twin"]).select("doc_id", "twin", "text", "wanted")
 
 
-def _wanted(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The first segments of the classes in groups, gathered by document."""
-    return classes.join(groups, "least").groupBy("first.doc_id").agg(F.collect_list(F.struct("least", F.col("first.place").alias("place"))).alias("wanted"))
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with columns name + "id" (never null) and name + "twin": 0 where an id stands once; where it stands again, which
+    costs a join, a hash of the text."""
+    keyed = docs.withColumn(name + "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    again = keyed.groupBy(name + "id").agg(F.count(F.lit(1)).alias(name + "twin")).filter(F.col(name + "twin") > 1)
+    if not again.limit(1).count():
+        return keyed.withColumn(name + "twin", F.lit(0).cast("long"))
+    return keyed.join(again, name + "id", "left").withColumn(name + "twin", F.when(F.col(name + "twin") > 1, F.xxhash64("text")).otherwise(F.lit(0)))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (low, high in bytes, which may overlap) of each document that has repeated windows.
+def repeats(own: DataFrame) -> DataFrame:
+    """doc_id, twin and spans (low, high in bytes, which may overlap) of each document that has repeated windows; own:
+    doc_id, twin (see `_keyed`), text.
 
-    Counting minimizers combines before it shuffles; the joins back to segments are ones that adaptive execution splits
-    where one minimizer holds many rows.
+    Counting minimizers combines before it shuffles. What the segments with a shared minimizer are joined with has each of
+    its keys once, and both sides are dealt for that join alone, so adaptive execution can split a minimizer of many rows.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = segments(own)
     shared = found.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least")
-    twice = cut(found.join(shared, "least"))
-    classes = _classes(twice)
-    groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
-    given = map_arrow(_squeezed(own).join(_wanted(classes, mixed), "doc_id").select("doc_id", "text", "wanted"), _cut_out, "least long, doc_id long, first long, data binary")
-    spans = _later(twice, classes).union(map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, low long, high long"))
-    if hot.limit(1).count():
-        single = cut(map_arrow(_squeezed(own).join(_wanted(classes, hot), "doc_id").select("doc_id", "text", "wanted"), _windows, "least long, content long, doc_id long, place long"))
-        spans = spans.union(_later(single, _classes(single)))
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    rows = stash(found.join(shared, "least"), "segments")
+    spans = None
+    for width in (*NARROWER, None):
+        classes = cut(rows.groupBy("least", "content").agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
+        groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
+        given = map_arrow(_asking(_squeezed(own), classes, mixed), _cut_out, "least long, doc_id long, twin long, first long, data binary")
+        now = _later(rows, classes).union(map_arrow(given.repartition("least").sortWithinPartitions("least"), _sorted_shards, "doc_id long, twin long, low long, high long"))
+        spans = now if spans is None else spans.union(now)
+        if width is None or not hot.limit(1).count():
+            break
+        rows = stash(map_arrow(_asking(_squeezed(own), classes, hot), lambda batches, width=width: _narrowed(batches, width), SEGMENTS), "segments")
+    return spans.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -442,12 +490,14 @@ def _kept(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Record
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    name = "key"
-    while name in docs.columns or name + "s" in docs.columns:
+    """docs, their text squeezed, and their spans in a last column."""
+    name = "key_"
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    found = repeats(docs).select(F.col("doc_id").alias(name), F.col("spans").alias(name + "s"))
-    return _squeezed(keyed).join(found, name, "left").drop(name)
+    keyed = _keyed(docs, name)
+    key = [name + "id", name + "twin"]
+    found = repeats(keyed.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("twin"), F.col("text").cast("string").alias("text")))
+    return _squeezed(keyed).join(found.toDF(*key, name + "spans"), key, "left").select(*docs.columns, name + "spans")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

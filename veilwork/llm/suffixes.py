@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import blocks, cut, map_arrow, mixed, prefix_hashes, stash, table, utf8, valid_utf8
+from veilwork.llm.common import blocks, map_arrow, mixed, prefix_hashes, stash, table, utf8, valid_utf8
 
 LENGTH, K = 100, 24
 SHARD_BYTES, PIECE_BYTES = 1 << 21, 1 << 20
@@ -71,13 +71,14 @@ def _segments(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[place[begin]].view(np.int64), mixed(content).view(np.int64), row[begin], begin - own[row[begin]], last - begin + 1
 
 
-SEGMENTS = "least long, content long, doc_id long, twin long, place long"
+SEGMENTS = "least long, content long, doc_id long, place long, twin long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, doc_id and, if there, twin."""
     for batch in batches:
-        data, offsets = utf8(valid_utf8(batch.column(2)))
-        ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, offsets = utf8(valid_utf8(batch.column(0)))
+        keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
         for low, high in blocks(offsets, PIECE_BYTES):
             whole = offsets[high] - offsets[low]
             for base in range(0, whole if high - low == 1 else 1, PIECE_BYTES):
@@ -89,12 +90,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = offsets[low : high + 1] - offsets[low]
                 least, content, row, first, n = _segments(part, own)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(content), pa.array(ids[low + row]), pa.array(twins[low + row]), pa.array((first + base) * 128 + n)], ["least", "content", "doc_id", "twin", "place"])
+                    doc_id, *twin = (pa.array(x[low + row]) for x in keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(content), doc_id, pa.array((first + base) * 128 + n), *twin], ["least", "content", "doc_id", "place", "twin"][: 4 + len(twin)])
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """least, content, doc_id, twin, place (first window * 128 + number of windows) of every segment."""
-    return map_arrow(docs.select("doc_id", "twin", "text"), _scan, SEGMENTS)
+    """least, content, doc_id, place (first window * 128 + number of windows) and twin of every segment; where no id stands
+    twice, twin is a constant and not carried."""
+    if "twin" in docs.columns:
+        return map_arrow(docs.select("text", "doc_id", "twin"), _scan, SEGMENTS)
+    return map_arrow(docs.select("text", "doc_id"), _scan, SEGMENTS.removesuffix(", twin long")).withColumn("twin", F.lit(0).cast("long"))
 
 
 # --- suffix arrays
@@ -403,7 +408,7 @@ def _narrowed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 a, b = max(low, first), min(high, last)
                 rows.append((_digest(core), _digest(data[a : b + LENGTH] + b"%d" % (a - low)), a * 128 + b - a + 1))
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array([twin] * n, pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["least", "content", "doc_id", "twin", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([twin] * n, pa.int64())], ["least", "content", "doc_id", "place", "twin"])
 
 
 def _later(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -421,28 +426,30 @@ def _asking(texts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
 
 
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with columns name + "id" (never null) and name + "twin": 0 where an id stands once; where it stands again, which
-    costs a join, a hash of the text."""
+    """docs with a column name + "id" (never null) and, if an id stands twice, which costs a join, name + "twin": a hash of
+    the text where it does, else 0."""
     keyed = docs.withColumn(name + "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     again = keyed.groupBy(name + "id").agg(F.count(F.lit(1)).alias(name + "twin")).filter(F.col(name + "twin") > 1)
     if not again.limit(1).count():
-        return keyed.withColumn(name + "twin", F.lit(0).cast("long"))
+        return keyed
     return keyed.join(again, name + "id", "left").withColumn(name + "twin", F.when(F.col(name + "twin") > 1, F.xxhash64("text")).otherwise(F.lit(0)))
 
 
 def repeats(own: DataFrame) -> DataFrame:
     """doc_id, twin and spans (low, high in bytes, which may overlap) of each document that has repeated windows; own:
-    doc_id, twin (see `_keyed`), text.
+    doc_id, text and, if an id stands twice, twin (see `_keyed`).
 
     Counting minimizers combines before it shuffles. What the segments with a shared minimizer are joined with has each of
     its keys once, and both sides are dealt for that join alone, so adaptive execution can split a minimizer of many rows.
     """
     found = segments(own)
-    shared = found.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least")
+    if "twin" not in own.columns:
+        own = own.withColumn("twin", F.lit(0).cast("long"))
+    shared = stash(found.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least"), "shared")
     rows = stash(found.join(shared, "least"), "segments")
     spans = None
     for width in (*NARROWER, None):
-        classes = cut(rows.groupBy("least", "content").agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
+        classes = stash(rows.groupBy("least", "content").agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
         groups = classes.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         mixed, hot = groups.filter(F.col("size") <= HOT).select("least"), groups.filter(F.col("size") > HOT).select("least")
         given = map_arrow(_asking(_squeezed(own), classes, mixed), _cut_out, "least long, doc_id long, twin long, first long, data binary")
@@ -495,9 +502,10 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     while any(c.startswith(name) for c in docs.columns):
         name += "_"
     keyed = _keyed(docs, name)
-    key = [name + "id", name + "twin"]
-    found = repeats(keyed.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("twin"), F.col("text").cast("string").alias("text")))
-    return _squeezed(keyed).join(found.toDF(*key, name + "spans"), key, "left").select(*docs.columns, name + "spans")
+    key = [name + x for x in ("id", "twin") if name + x in keyed.columns]
+    found = repeats(keyed.select(F.col("text").cast("string").alias("text"), F.col(key[0]).alias("doc_id"), *(F.col(x).alias("twin") for x in key[1:])))
+    found = found.toDF(name + "id", name + "twin", name + "spans").select(*key, name + "spans")
+    return _squeezed(keyed).join(found, key, "left").select(*docs.columns, name + "spans")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

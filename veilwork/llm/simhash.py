@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import cut, lowered, map_arrow, table, utf8
+from veilwork.llm.common import cut, forget, lowered, map_arrow, stash, table, utf8
 
 RADIUS, KEEP, SHARD = 4, 2, 2048
 SEED = 42
@@ -216,34 +216,45 @@ def links(distinct: DataFrame, shard: int = SHARD, radius: int = RADIUS, keep: i
 def connected(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable from each node of the edges (a, b).
 
-    Each round gives a node, and its label, the smallest label next to it, then takes the label's label. What a round
-    makes goes to the shared folder; a round costs time in proportion to the edges, and their number is small.
+    Each round gives a node, and its label, the smallest label next to it, then takes the label's label. What a round makes
+    goes to the shared folder, in place of what the last one made, and is joined from there: one side of each join has each
+    key once, so a node of very many edges is split.
     """
-    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b"))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = stash(edges.union(edges.select("b", "a")).toDF("a", "b"), "edges")
+    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        seen = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
+        seen = labels.join(near, "node", "left").select("node", "root", F.least("root", "m").alias("m"))
         offers = seen.select("node", "m").union(seen.filter("m < root").select(F.col("root").alias("node"), "m"))
-        hooked = offers.groupBy("node").agg(F.min("m").alias("up"))
+        hooked = stash(offers.groupBy("node").agg(F.min("m").alias("up")), "hooked")
         jump = hooked.select(F.col("node").alias("up"), F.col("up").alias("above"))
-        after = hooked.join(jump, "up", "left").join(labels, "node").select("node", F.coalesce("above", "up").alias("root"), F.col("root").alias("old"))
-        after = cut(after)
+        after = stash(hooked.join(jump, "up", "left").join(labels, "node").select("node", F.coalesce("above", "up").alias("root"), F.col("root").alias("old")), "labels")
         changed = after.filter("root != old").limit(1).count()
+        for old in (labels, hooked):
+            forget(old)
         labels = after.select("node", "root")
         if not changed:
+            forget(both)
             return labels
 
 
+def named(rows: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows, which have doc_id and print, with component_id: the smallest id of the prints that share a root.
+
+    Names and prints are read from the shared folder, each key once on one side of its join, so a component or a print of
+    very many rows is split.
+    """
+    rooted = stash(firsts.select("print", "first").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+    names = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
+    own = stash(rooted.join(names, "root").select("print", "component_id"), "named")
+    return rows.select("doc_id", "print").join(own, "print").select("doc_id", "print", "component_id")
+
+
 def components(docs: DataFrame, width: int = 4, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
     """doc_id, print, component_id of every document."""
-    rows = cut(prints(docs, width))
-    firsts = cut(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(firsts.select("print"), radius=radius, keep=keep))
-    rooted = firsts.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    rows = stash(prints(docs, width), "prints")
+    firsts = stash(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
+    return named(rows, firsts, connected(links(firsts.select("print"), radius=radius, keep=keep)))
 
 
 def keep_first(docs: DataFrame, width: int = 4, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:

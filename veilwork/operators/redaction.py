@@ -1,7 +1,9 @@
 """The span decision and the residue sweep, as columns of one line.
 
 `decide` is a pure function of the line, its place (header, top), the plan's tokens and first name, and spans that were
-decided outside the text (`pre`). Lines without any span skip the sweep, which is the costly part.
+decided outside the text (`pre`). Lines without any span skip the sweep, which is the costly part. `redact_lines` decides
+only lines that one cheap search finds something in, or whose place or plan may give spans, and decides them once: the
+decision comes out of a Generate, so what filters or reads it does not make it again.
 """
 
 from __future__ import annotations
@@ -109,7 +111,16 @@ def redact_lines(lines: DataFrame, text: str = "text", city: str = P.CITY, confi
     """lines with `decision` and `redacted`; columns header, top, first, tokens and pre are used where there."""
     get = lambda name: F.col(name) if name in lines.columns else None
     header = get("header")
-    made = lines.withColumn("decision", decide(F.col(text), F.lit(False) if header is None else header, get("top"), get("first"), get("tokens"), get("pre"), city, config))
+    text_, top, tokens, pre = F.col(text), get("top"), get("tokens"), get("pre")
+    decision = decide(text_, F.lit(False) if header is None else header, top, get("first"), tokens, pre, city, config)
+    some = Q.has(text_, P.ANY_TRACE)
+    for place in (header, top):
+        some = some if place is None else some | F.coalesce(place, F.lit(False))
+    for given in (tokens, pre):
+        some = some if given is None else some | F.coalesce(F.size(given) > 0, F.lit(False))
+    line = S.clean(text_)
+    plain = F.struct(S.none().alias("spans"), F.lit(0).alias("contact"), F.lit(False).alias("whole"), line.alias("mask"))
+    made = lines.select(*[c for c in lines.columns if c != "decision"], F.explode(F.array(F.when(some, decision).otherwise(plain))).alias("decision"))
     return made.withColumn("redacted", S.deleted(F.col("decision.mask")))
 
 

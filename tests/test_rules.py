@@ -18,10 +18,10 @@ LINES = [
     ("+91 9000000001", True, None, [], ""), ("+254 700 000 001", True, None, [], ""), ("(+91) 90000-00002", True, None, [], ""), ("9000000003", True, None, [], ""), ("+971 500000001/+91 9000000004", True, None, [], ""),
     ("https://github.com/ada", True, None, [], ""), ("linkedin.com/in/ada-1", True, None, [], ""), ("ada.vercel.app", True, None, [], ""), ("Node.js and ASP.NET", False, None, [], "Node.js and ASP.NET"),
     ("Date of Birth: 01/02/1990", True, None, [], ""), ("Marital Status - Single", True, None, [], ""), ("Nationality: X | Gender: Y", True, None, [], ""), ("Improved gender diversity in hiring", False, None, [], "Improved gender diversity in hiring"),
-    ("ADA ROWE", True, None, ["Rowe"], "ADA"), ("ADALINE R", False, None, [r"re:(?<=ADALINE\s)R(?![A-Za-z])"], "ADALINE"), ("Grade R in Maths", False, None, [r"re:(?<=ADALINE\s)R(?![A-Za-z])"], "Grade R in Maths"), ("Ada Van  Rowe", False, None, ["Van Rowe"], "Ada"), ("Ada (x.y) zed", False, None, ["(x.y)"], "Ada zed"),
-    ("Pune, Maharashtra", True, None, [], ""), ("Acme India Pvt. Ltd, Pune", False, None, [], "Acme India Pvt. Ltd, Pune"), ("LinkedIn |", True, None, [], ""), ("E-MAIL", True, None, [], ""), ("Profile", True, None, [], "Profile"), ("S E N I O R  E N G I N E E R", True, None, [], "S E N I O R E N G I N E E R"),
-    ("Smalltown, Punjab | +91 9000000005 | ada@example.com | LinkedIn | Portfolio", True, None, [], ""), ("Bengaluru • Open to Remote & Contract Roles Worldwide", True, None, [], "Open to Remote & Contract Roles Worldwide"),
-    ("LinkedIn: Ada | +234 9000000006", True, "Ada", [], "Ada"), ("Ada | Software Engineer | +91 9000000007", True, "Ada", [], "Ada | Software Engineer"), ("ada-rowe", True, "Ada", ["Rowe"], ""), ("§ ADA ROWE | +91 9000000008", True, "Ada", ["Rowe"], "ADA"),
+    ("ADA ROWE", True, None, ["Rowe"], "ADA"), ("MIRABEL Q", False, None, [r"re:(?<=MIRABEL\s)Q(?![A-Za-z])"], "MIRABEL"), ("Level Q of Cello", False, None, [r"re:(?<=MIRABEL\s)Q(?![A-Za-z])"], "Level Q of Cello"), ("Ada Van  Rowe", False, None, ["Van Rowe"], "Ada"), ("Ada (x.y) zed", False, None, ["(x.y)"], "Ada zed"),
+    ("Pune, Maharashtra", True, None, [], ""), ("Northwind Traders Ltd, Nagpur", False, None, [], "Northwind Traders Ltd, Nagpur"), ("LinkedIn |", True, None, [], ""), ("E-MAIL", True, None, [], ""), ("Profile", True, None, [], "Profile"), ("D A T A  L E A D", True, None, [], "D A T A L E A D"),
+    ("Riverbend, Kerala | mira@example.net | +91 9000000005 | Kaggle | Portfolio", True, None, [], ""), ("Kochi • Ready to relocate across four time zones", True, None, [], "Ready to relocate across four time zones"),
+    ("GitLab: Mira | +44 9000000006", True, "Mira", [], "Mira"), ("Ada | Software Engineer | +91 9000000007", True, "Ada", [], "Ada | Software Engineer"), ("ada-rowe", True, "Ada", ["Rowe"], ""), ("§ ADA ROWE | +91 9000000008", True, "Ada", ["Rowe"], "ADA"),
     ("", True, None, [], ""), (None, True, None, [], ""), ("😀 mail ada@example.com then quite a lot of other words here", False, None, [], "mail then quite a lot of other words here"), ("a b@example.com and more words that stay in place", False, None, [], "a and more words that stay in place"),
 ]
 
@@ -53,12 +53,12 @@ def test_pre_spans(spark):
 @pytest.mark.parametrize(
     ("column", "yes", "no"),
     [
-        (Q.label_line, ["LinkedIn |", "| GitHub:", "|", "PHONE", "E-MAIL", "LinkedIn | E-mail | GitHub"], ["Profile", "Summary", "Data Analyst", "S E N I O R  E N G I N E E R", ""]),
+        (Q.label_line, ["LinkedIn |", "| GitHub:", "|", "PHONE", "E-MAIL", "LinkedIn | E-mail | GitHub"], ["Profile", "Summary", "Data Analyst", "D A T A  L E A D", ""]),
         (Q.link_label_only, ["GitHub", "View Profile", "Visit My Website"], ["View Certificate", "HarborApp", ""]),
-        (Q.section_head, ["Education", "PROFESSIONAL SUMMARY", "Work Experience"], ["Summary of findings"]),
+        (Q.section_head, ["Education", "PROFESSIONAL SUMMARY", "Work Experience"], ["Education of a whole town"]),
         (Q.is_word, ["ab", "7", "I", "a,"], ["|", "x", "§", "()"]),
-        (lambda t: F.size(Q.phone_spans(t)) == 0, ["2018 - 2022", "Jan 2020 - Dec 2023 2024", "1234567890123456"], ["9000000003"]),
-        (lambda t: F.size(Q.city_spans(t)) == 0, ["Bangalore Institute of Examples", "Managed MP AS rollout", "M.P., x"], ["Bhopal, MP", "M.P.India"]),
+        (lambda t: F.size(Q.phone_spans(t)) == 0, ["2018 - 2022", "Mar 2011 - Nov 2015 2016", "1234567890123456"], ["9000000003"]),
+        (lambda t: F.size(Q.city_spans(t)) == 0, ["Mysore College of Sample Studies", "Managed MP AS rollout", "M.P., x"], ["Bhopal, MP", "M.P.India"]),
         (lambda t: Q.has(t, P.PERSONAL_LINE), ["Marital Status - Single", "DOB - 01/02/1990", "Japan no: 1", "father's name: X"], ["Improved gender diversity in hiring", "D.O.B.: x", "father’s name: X"]),
     ],
 )

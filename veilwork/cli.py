@@ -7,7 +7,7 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.engine import Engine
@@ -35,6 +35,12 @@ def _plan(spark: SparkSession, path: str | None):
         return plans.parse_plans(spark.createDataFrame([(f.read(),)], "raw string"))
 
 
+def _print_all(rows: DataFrame) -> None:
+    """Every row as a JSON line; the driver holds one partition at a time."""
+    for r in rows.toLocalIterator():
+        print(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str))
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veilwork")
     verbs = parser.add_subparsers(dest="verb", required=True)
@@ -65,24 +71,25 @@ def main(args: list[str] | None = None) -> int:
         found = engine.verify(files.documents_in(spark, a.output), plan)
         if a.json:
             sinks.write_audit(found, a.json)
-        rows = audit.top_findings(found).orderBy("doc_id", "nth").limit(1000).collect()
-        for r in rows:
+        leaks = 0
+        for r in audit.top_findings(found).orderBy("doc_id", "nth").toLocalIterator():
             print(f"{r.doc_id}: {r.kind}: {r.value}")
-        return int(bool(rows))
+            leaks += 1
+        return int(leaks > 0)
     sources = files.documents_in(spark, a.input)
     if a.verb == "scan":
         asked = sources if a.all else plans.unmapped(sources, plan)
-        engine.scan(asked, docx.paragraphs(asked)).orderBy("filename").show(200, truncate=90)
+        _print_all(engine.scan(asked, docx.paragraphs(asked)).orderBy("filename"))
         return 0
     missing = plans.unmapped(sources, plan).select("filename").orderBy("filename")
     if a.dry_run:
-        plans.with_plan(sources.select("filename"), plan).orderBy("filename").show(1000, truncate=False)
+        _print_all(plans.with_plan(sources.select("filename"), plan).orderBy("filename"))
         return 0
     sinks.write_files(engine.redact_docx(sources, plan), a.output)
     totals = engine.manifest(sources, engine.redact(docx.paragraphs(sources), plan), plan).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if("unmapped").alias("unmapped"), F.sum("redactions").alias("redactions")).first()
     if not a.quiet:
         print(json.dumps(totals.asDict()))
-        missing.show(200, truncate=False)
+        _print_all(missing)
     return int(bool(totals.failed) or a.fail_on_unmapped and bool(totals.unmapped))
 
 

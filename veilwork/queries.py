@@ -48,11 +48,11 @@ _LINES = [
     "c_name || ' Rowe | Software Engineer'",
     f"'user' || {_KEY} || '@mail.example.com | +91 98' || lpad({_KEY}, 8, '0') || ' | ' || CASE c_nationkey % 4 WHEN 0 THEN 'Pune' WHEN 1 THEN 'Navi Mumbai' WHEN 2 THEN 'Indore' ELSE 'Jaipur' END || ', MH | LinkedIn'",
     "CASE c_custkey % 5 WHEN 0 THEN 'Date of Birth: 01/02/1990' WHEN 1 THEN 'Nationality: Indian | Gender: Female 28' WHEN 2 THEN 'Flat No 12, Green Colony, Pune 411001' WHEN 3 THEN '12/4 MG Road, Thane' ELSE '14 March 1991' END",
-    "CASE c_custkey % 3 WHEN 0 THEN 'PROFESSIONAL SUMMARY' WHEN 1 THEN 'Summary of findings' ELSE 'Work Experience' END",
-    "CASE c_custkey % 2 WHEN 0 THEN 'Managed MP AS rollout 2018 - 2022 2023 at Acme Pvt. Ltd, Pune' ELSE 'Moved to Bhopal, MP in 2019, then 560001' END",
+    "CASE c_custkey % 3 WHEN 0 THEN 'PROFESSIONAL SUMMARY' WHEN 1 THEN 'Education of a whole town' ELSE 'Work Experience' END",
+    "CASE c_custkey % 2 WHEN 0 THEN 'Managed MP AS rollout 2018 - 2022 2023 at Northwind Ltd, Nagpur' ELSE 'Moved to Bhopal, MP in 2019, then 560001' END",
     f"CASE c_custkey % 2 WHEN 0 THEN 'linkedin.com/in/user' || {_KEY} || ' and https://example.org/u' || {_KEY} ELSE 'Node.js and ASP.NET' END",
-    "CASE c_custkey % 6 WHEN 0 THEN 'LinkedIn | GitHub:' WHEN 1 THEN 'PHONE' WHEN 2 THEN 'Profile' WHEN 3 THEN '|' WHEN 4 THEN 'S E N I O R' ELSE 'LinkedIn | E-mail | GitHub' END",
-    "CASE c_custkey % 4 WHEN 0 THEN 'Bangalore Institute of Examples' WHEN 1 THEN 'Visit My Website' WHEN 2 THEN 'View Certificate' ELSE 'Led a team of engineers who built a data platform for the retail group, Rowe' END",
+    "CASE c_custkey % 6 WHEN 0 THEN 'LinkedIn | GitHub:' WHEN 1 THEN 'PHONE' WHEN 2 THEN 'Profile' WHEN 3 THEN '|' WHEN 4 THEN 'D A T A' ELSE 'LinkedIn | E-mail | GitHub' END",
+    "CASE c_custkey % 4 WHEN 0 THEN 'Mysore College of Sample Studies' WHEN 1 THEN 'Visit My Website' WHEN 2 THEN 'View Certificate' ELSE 'Led a team of engineers who built a data platform for the retail group, Rowe' END",
 ]
 _CV = f"cv AS (SELECT doc_id, CAST(i AS INT) AS idx, l[i + 1] AS text FROM (SELECT c_custkey AS doc_id, [{', '.join(_LINES)}] AS l, unnest(range({len(_LINES)})) AS i FROM customer))"
 
@@ -238,9 +238,9 @@ def redacted_lines(spark, d):
     return _redacted(spark, d).select("doc_id", "idx", "redacted", F.size("decision.spans").cast("long").alias("n_spans"), F.col("decision.whole").alias("whole"))
 
 
-@query(f"WITH {_CV}, h AS (SELECT *, max(CAST({_m(P.SECTION_HEAD)} AS INT)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) = 0 AND idx < 25 AS top FROM cv) SELECT doc_id, idx, top AND ({_LABEL_LINE}) AND NOT {_ROW} AS gone FROM h WHERE idx = 6")
+@query(f"WITH {_CV}, h AS (SELECT *, max(CAST({_m(P.SECTION_HEAD)} AS INT)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) = 0 AND idx < 25 AS top FROM cv) SELECT doc_id, idx, top AND ({_LABEL_LINE}) AND NOT {_ROW} AS gone FROM h")
 def label_lines_gone(spark, d):
-    return _redacted(spark, d).filter("idx = 6").select("doc_id", "idx", (F.col("top") & F.col("decision.whole") & ~Q.contact_row(F.col("text"))).alias("gone"))
+    return _redacted(spark, d).select("doc_id", "idx", (F.col("top") & F.col("decision.whole") & Q.label_line(F.col("text")) & ~Q.contact_row(F.col("text"))).alias("gone"))
 
 
 @query()
@@ -251,7 +251,7 @@ def residue_sweep(spark, d):
 
 @query()
 def documents_redacted(spark, d):
-    """Every line of every document, whole, of which only those that any pattern touches pay for the decision."""
+    """Every line of every document, whole; those that a search for any trace finds nothing in don't pay for the decision."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(audit.lines_in(F.col("text"))).alias("idx", "text"))
     return redaction.redact_lines(lines).filter(F.size("decision.spans") > 0).select("doc_id", "idx", "redacted")
 
@@ -353,9 +353,9 @@ def first_name_of_output(spark, d):
     return plan_of(spark, d).select("filename", plans.first_name_of(F.col("output_name")).alias("first"))
 
 
-@query(f"WITH {_CV}, t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM cv WHERE idx = 0) SELECT doc_id, token, trim(lower(token), '.,:;|') = 'rowe' AS kept FROM t")
+@query(f"WITH {_CV}, t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM cv) SELECT doc_id, token, trim(lower(token), '.,:;|') = 'rowe' AS kept FROM t")
 def first_name_kept(spark, d):
-    tokens = cv_lines(spark, d).filter("idx = 0").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
+    tokens = cv_lines(spark, d).select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
     return tokens.select("doc_id", "token", Q.is_kept(F.col("token"), F.lit("Rowe")).alias("kept"))
 
 

@@ -17,6 +17,8 @@ _STREAM = re.compile(rb"stream\r?\n")
 
 
 def blobs_of(content: bytes, most: int = DEFAULT.stream_bytes) -> Iterator[tuple[str, bytes]]:
+    """The bytes of a file, then what inflates from each stream in it. At most `most` compressed bytes of a stream are read,
+    and all that they inflate to."""
     yield "raw", content
     if zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -26,9 +28,10 @@ def blobs_of(content: bytes, most: int = DEFAULT.stream_bytes) -> Iterator[tuple
                 except (zipfile.BadZipFile, zlib.error, RuntimeError):
                     continue
         return
+    view = memoryview(content)
     for n, m in enumerate(_STREAM.finditer(content)):
         try:
-            yield f"stream {n}", zlib.decompressobj().decompress(content[m.end() :], most)
+            yield f"stream {n}", zlib.decompressobj().decompress(view[m.end() : m.end() + most])
         except zlib.error:
             continue
 

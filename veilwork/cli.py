@@ -1,4 +1,4 @@
-"""python -m veilwork.cli redact|verify|scan: folders of DOCX files. Exit 0: done; 1: something failed or leaks; 2: usage."""
+"""python -m veilwork.cli redact|verify|scan: folders of DOCX files; scan and verify read PDF files too. Exit 0: done; 1: something failed or leaks; 2: usage."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilwork.engine import Engine
 from veilwork.operators import audit
 from veilwork.plans import plan as plans
-from veilwork.sources import docx, files, sinks
+from veilwork.sources import files, sinks
 
 
 def usage_error(source: str, output: str | None) -> str | None:
@@ -68,25 +68,30 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     engine, plan = Engine(spark), _plan(spark, a.plan)
     if a.verb == "verify":
-        found = engine.verify(files.documents_in(spark, a.output), plan)
+        outputs = files.documents_in(spark, a.output)
+        found = engine.verify(outputs, plan)
         if a.json:
             sinks.write_audit(found, a.json)
         leaks = 0
         for r in audit.top_findings(found).orderBy("doc_id", "nth").toLocalIterator():
             print(f"{r.doc_id}: {r.kind}: {r.value}")
             leaks += 1
+        for r in engine.lost(files.documents_in(spark, a.input), outputs, plan).select("output_name", "shown").orderBy("output_name", "shown").toLocalIterator():
+            print(f"{r.output_name}: lost: {r.shown}")
+        for r in engine.notes(outputs).orderBy("doc_id", "note").toLocalIterator():
+            print(f"{r.doc_id}: note: {r.note}")
         return int(leaks > 0)
     sources = files.documents_in(spark, a.input)
     if a.verb == "scan":
         asked = sources if a.all else plans.unmapped(sources, plan)
-        _print_all(engine.scan(asked, docx.paragraphs(asked)).orderBy("filename"))
+        _print_all(engine.scan(asked, engine.reading(asked)).orderBy("filename"))
         return 0
     missing = plans.unmapped(sources, plan).select("filename").orderBy("filename")
     if a.dry_run:
         _print_all(plans.with_plan(sources.select("filename"), plan).orderBy("filename"))
         return 0
     sinks.write_files(engine.redact_docx(sources, plan), a.output)
-    totals = engine.manifest(sources, engine.redact(docx.paragraphs(sources), plan), plan).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if("unmapped").alias("unmapped"), F.sum("redactions").alias("redactions")).first()
+    totals = engine.manifest(sources, engine.redact(engine.paragraphs(sources), plan), plan).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if("unmapped").alias("unmapped"), F.sum("redactions").alias("redactions")).first()
     if not a.quiet:
         print(json.dumps(totals.asDict()))
         _print_all(missing)

@@ -41,9 +41,14 @@ def without_tokens(planned: DataFrame) -> DataFrame:
     return planned.filter(F.size("surnames") == 0)
 
 
+def output_of(plan: DataFrame) -> Column:
+    """The name under which a plan's file is written, as `with_plan` gives it."""
+    return safe_name(F.coalesce(plan["output_name"], plan["filename"]))
+
+
 def by_output(outputs: DataFrame, plan: DataFrame) -> DataFrame:
     """Output files with the source's name and tokens; where two plans share an output name, the last file name stands."""
-    back = plan.groupBy(F.col("output_name").alias("filename")).agg(F.max_by(F.struct(F.col("filename").alias("source"), "surnames"), "filename").alias("p")).select("filename", "p.source", "p.surnames")
+    back = plan.groupBy(output_of(plan).alias("output")).agg(F.max_by(F.struct(F.col("filename").alias("source"), "surnames"), "filename").alias("p")).select(F.col("output").alias("filename"), "p.source", "p.surnames")
     return outputs.join(back, "filename", "left").withColumn("surnames", F.coalesce("surnames", F.array().cast("array<string>")))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
 import os
+import zipfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +54,12 @@ def manifest_of(raw: DataFrame, column: str = "raw") -> DataFrame:
     """A manifest read back from JSON; null where it is missing or broken."""
     schema = "struct<total_redactions:bigint,failed:bigint,files:array<struct<filename:string,output_name:string,redactions:bigint,pages:int,used_ocr:boolean,unmapped:boolean,error:string>>>"
     return raw.withColumn("manifest", F.from_json(column, schema)).withColumn("manifest", F.when(F.col("manifest.files").isNotNull(), F.col("manifest")))
+
+
+def manifest_in(bundle: bytes) -> dict | None:
+    """The manifest of one bundle; None where the zip or the manifest is missing or broken."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(bundle)) as z:
+            return json.loads(z.read("manifest.json"))
+    except (zipfile.BadZipFile, KeyError, ValueError):
+        return None

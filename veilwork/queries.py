@@ -458,11 +458,10 @@ def leaks_per_doc(spark, d):
     return audit.leaks(_findings(spark, d)).select("doc_id", "n")
 
 
-@query(f"WITH {_CV} SELECT doc_id, bool_and(NOT {_m(P.EMAIL)}) AS passed FROM cv WHERE idx <> 1 OR doc_id % 2 = 0 GROUP BY doc_id")
+@query(f"WITH {_CV} SELECT doc_id * 10 + idx AS doc_id, NOT ({_m(P.EMAIL)} OR {_m(P.URL)} OR {_m(P.DOB)} OR len({_PHONES}) > 0) AS passed FROM cv")
 def audit_pass_flag(spark, d):
-    lines = cv_lines(spark, d).filter("idx <> 1 OR doc_id % 2 = 0")
-    found = audit.text_findings(lines.select("doc_id", "text")).filter("kind = 'EMAIL'")
-    return audit.audit_flags(lines.select("doc_id").distinct(), found)
+    lines = cv_lines(spark, d).select((F.col("doc_id") * 10 + F.col("idx")).alias("doc_id"), "text")
+    return audit.audit_flags(lines, audit.text_findings(lines))
 
 
 @query(r"SELECT 'd' || (doc_id % 50)::VARCHAR AS output_name, line FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS line FROM documents) WHERE length(line) > 45 AND NOT " + _m(P.CONTACT_LINE, "line") + r" AND 'd' || (doc_id % 50)::VARCHAR || line NOT IN (SELECT 'd' || (doc_id % 50)::VARCHAR || x FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS x FROM documents WHERE doc_id % 7 > 0))")

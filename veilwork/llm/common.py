@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -68,7 +69,21 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
         now = str(conf.get(key))
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_released(f), schema)
+
+
+def _released(f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, which after a partition gives what it no longer holds back to the system: Spark keeps workers for later tasks, and
+    several idle ones would else keep their peaks beside those at work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,17 @@
 """The decision on lines of each kind, and against the plain model on many made-up lines: one query for each table."""
 
 import random
+import re
 
 import pytest
 from model import redacted
 from pyspark.sql import functions as F
 
+from veilwork import queries
 from veilwork.functions import patterns as P
 from veilwork.functions import predicates as Q
 from veilwork.functions import spans as S
+from veilwork.operators import audit
 from veilwork.operators.redaction import redact_lines
 
 SCHEMA = "id int, text string, header boolean, top boolean, first string, tokens array<string>"
@@ -45,6 +48,30 @@ def test_against_the_model(spark):
     assert not bad[:3]
 
 
+SF = "/root/testdata/sf0.001"
+HEADING = re.compile(r"\W*(?:education|(?:professional )?summary|(?:work )?experience|skills|projects?|profile)\W*", re.I)
+
+
+def test_queries_against_the_model(spark):
+    """redacted_lines and residue_sweep over every line of every CV, documents_redacted over every line of every document."""
+    under = {}
+    got = {(r.doc_id, r.idx): (r.redacted, r.whole) for r in queries.redacted_lines(spark, SF).collect()}
+    swept = {(r.doc_id, r.idx): r.redacted for r in queries.residue_sweep(spark, SF).collect()}
+    bad, n = [], 0
+    for doc, idx, text in queries.cv_lines(spark, SF).orderBy("doc_id", "idx").collect():
+        under[doc] = under.get(doc, False) or bool(HEADING.fullmatch(text))
+        left = redacted(text, idx < 10 and not under[doc], idx < 25 and not under[doc], None, ("Rowe",))
+        bad += [(doc, idx, text, left, got[doc, idx])] * (left != got[doc, idx][0] or got[doc, idx][1] and left != "")
+        left = redacted(text, True, None, text.split(" ")[0])
+        bad += [(doc, idx, text, left, swept[doc, idx])] * (left != swept[doc, idx])
+        n += 1
+    assert bad[:3] == [] and n == len(got) == len(swept)
+    lines = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.posexplode(audit.lines_in(F.col("text")))).collect()
+    model = {(d, i): redacted(t) for d, i, t in lines}
+    changed = {(d, i): model[d, i] for d, i, t in lines if model[d, i] != t}
+    assert {(r.doc_id, r.idx): r.redacted for r in queries.documents_redacted(spark, SF).collect()} == changed
+
+
 def test_pre_spans(spark):
     rows = spark.createDataFrame([("LinkedIn | GitHub", True, [(0, 8), (11, 17)])], "text string, header boolean, pre array<struct<s:int,e:int>>")
     assert redact_lines(rows).first().redacted.strip() == ""

@@ -45,11 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+#: For rows that may be very long: Spark's reader holds a whole row group (or 4096 rows of it) at once, so these are kept small,
+#: and their size is looked at after each few rows.
+SMALL_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
+
+
+def stash(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again. What is read has a known size and no partitioning, so a
     join with it may be broadcast or split where a key is hot."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**(SMALL_GROUPS if long_rows else {})).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
